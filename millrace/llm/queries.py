@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.language_id import identify_languages, train_languages
 from millrace.llm.packing import pack_documents
 from millrace.llm.secrets import scan_secrets
 from millrace.llm.token_counts import count_tokens
@@ -60,6 +61,17 @@ FROM judged j LEFT JOIN rules r ON j.rule = r.host || r.path
 """
 
 
+def crc_class(n: int):
+    """CRC-32 of the document id as text, modulo n; null without an id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_languages(docs, crc_class(4) != 2)
+    return identify_languages(docs, model).select("doc_id", F.coalesce(crc_class(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -69,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scans": op2_secret_scans,
     "op5_token_counts": op5_token_counts,
     "op6_url_filters": op6_url_filters,
+    "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
 
