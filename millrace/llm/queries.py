@@ -11,6 +11,7 @@ from millrace.llm.language_id import identify_languages, train_languages
 from millrace.llm.packing import pack_documents
 from millrace.llm.secrets import scan_secrets
 from millrace.llm.token_counts import count_tokens
+from millrace.llm.topk_search import search_topk
 from millrace.llm.url_filters import filter_urls
 from millrace.sources.tables import table
 
@@ -37,6 +38,23 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP3_SQL = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -79,10 +97,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scans": op2_secret_scans,
+    "op3_topk_search": op3_topk_search,
     "op5_token_counts": op5_token_counts,
     "op6_url_filters": op6_url_filters,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {"op6_url_filters": OP6_SQL}
+ORACLES: dict[str, str] = {"op3_topk_search": OP3_SQL, "op6_url_filters": OP6_SQL}
