@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.decontamination import find_contamination
 from millrace.llm.language_id import identify_languages, train_languages
+from millrace.llm.line_dedup import line_report
 from millrace.llm.packing import pack_documents
 from millrace.llm.secrets import scan_secrets
 from millrace.llm.token_counts import count_tokens
@@ -26,6 +27,10 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -128,6 +133,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_secret_scans": op2_secret_scans,
     "op3_topk_search": op3_topk_search,
     "op5_token_counts": op5_token_counts,
