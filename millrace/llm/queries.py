@@ -12,6 +12,7 @@ from millrace.llm.language_id import identify_languages, train_languages
 from millrace.llm.line_dedup import line_report
 from millrace.llm.packing import pack_documents
 from millrace.llm.secrets import scan_secrets
+from millrace.llm.simhash import hex_digits, near_documents
 from millrace.llm.token_counts import count_tokens
 from millrace.llm.topk_search import search_topk
 from millrace.llm.url_filters import filter_urls
@@ -61,6 +62,11 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -136,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_secret_scans": op2_secret_scans,
     "op3_topk_search": op3_topk_search,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_url_filters": op6_url_filters,
     "op8_decontamination": op8_decontamination,
