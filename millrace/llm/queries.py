@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm.decontamination import find_contamination
 from millrace.llm.language_id import identify_languages, train_languages
 from millrace.llm.line_dedup import line_report
+from millrace.llm.lm_scoring import score_documents
 from millrace.llm.packing import pack_documents
 from millrace.llm.secrets import scan_secrets
 from millrace.llm.simhash import hex_digits, near_documents
@@ -91,6 +92,11 @@ FROM judged j LEFT JOIN rules r ON j.rule = r.host || r.path
 """
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score_documents(table(spark, sf_dir, "documents"), crc_class(10) != 0)
+    return found.select("doc_id", F.coalesce(crc_class(10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -145,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_url_filters": op6_url_filters,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
