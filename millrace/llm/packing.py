@@ -9,6 +9,7 @@ of two, which need no padding. Groups are independent, so there is no shuffle, n
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter, defaultdict, deque
 from collections.abc import Iterable, Iterator
 
@@ -19,46 +20,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.caching import Known
+
 WINDOW = 4096
 END_ID = 2
 GROUP_TOKENS = 1 << 21
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 SLICE_ROWS = 256
 
 
 class CachedTokenizer:
-    """Token ids of texts by a `tokenizers` file whose pieces never span white space.
+    """Token ids of texts by a `tokenizers` BPE file that lower-cases, drops white space, and never joins letters with
+    other characters.
 
-    A text's ids are the ids of its words, one after another, so each worker keeps the ids of up to `words` words
-    and only encodes words it has not met.
+    A text's ids are the ids of its words, one after another, so each worker keeps the ids of the words it met last,
+    `words` of them at least and twice that at most. Words of Latin letters, alone or before one comma or full stop, go
+    straight to the merge rules; all others take the whole way through the tokenizer.
     """
 
     def __init__(self, path: str, words: int = CACHE_WORDS):
+        self.path, self.limit, self.known, self.tokenizer = path, words, None, None
+
+    def __getstate__(self):
+        return {"path": self.path, "limit": self.limit, "known": None, "tokenizer": None}
+
+    def open(self) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), words, {}
+        self.tokenizer = Tokenizer.from_file(self.path)
+        self.merge, self.known = self.tokenizer.model.tokenize, Known(self.learn)
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        other = iter(range(256, 512))
+        self.letters = [chr(b if b in plain else next(other)) for b in range(256)]
+        self.marks = {m: self.through([m])[0] for m in (",", ".")}
 
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > self.limit:
-            self.known.clear()
+    def through(self, words: list[str]) -> list[bytes]:
         got: list[list[int]] = [[] for _ in words]
-        encoded = self.tokenizer.encode([w.decode("utf-8", "replace") for w in words], is_pretokenized=True, add_special_tokens=False)
+        encoded = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
         for word, token in zip(encoded.word_ids, encoded.ids):
             got[word].append(token)
-        for word, ids in zip(words, got):
-            self.known[word] = np.array(ids, "<u4").tobytes()
+        return [array("I", ids).tobytes() for ids in got]
+
+    def of_letters(self, word: str) -> bytes:
+        raw = word.lower().encode()
+        return array("I", [t.id for t in self.merge(raw.decode() if len(raw) == len(word) else "".join([self.letters[b] for b in raw]))]).tobytes()
+
+    def learn(self, raw: bytes) -> bytes:
+        word = raw.decode("utf-8", "replace")
+        core = word[:-1] if word[-1] in self.marks else word
+        if not core.isalpha() or (not core.isascii() and (max(core) >= "\u0250" or "\u0130" in core)):
+            return self.through([word])[0]
+        return self.of_letters(core) if core is word else self.known[raw[:-1]] + self.marks[word[-1]]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null text has none."""
-        split = [(t or b"").split() for t in texts]
-        new = set().union(*split)
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-        new = list(new.difference(self.known))
-        if new:
-            self.learn(new)
+        if self.tokenizer is None:
+            self.open()
+        self.known = self.known.bounded(self.limit)
         look = self.known.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        return [b"".join(map(look, (t or b"").split())) for t in texts]
 
 
 def fit_counts(lengths: dict[int, int], window: int) -> list[tuple[tuple[int, ...], int]]:
@@ -142,9 +162,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     kind = source.schema["id"].dataType
     schema = T.StructType([T.StructField(id_col, kind), *(T.StructField(n, T.BinaryType() if n == "ids" else T.LongType()) for n in ("start", "length", "ids", "doc_tokens", "sequence_id", "offset"))])
     end = int(end_id).to_bytes(4, "little")
+    shared = docs.sparkSession.sparkContext.broadcast(CachedTokenizer(tokenizer_path))  # a worker keeps it, with the words it met
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, task = CachedTokenizer(tokenizer_path), TaskContext.get().partitionId()
+        tokenizer, task = shared.value, TaskContext.get().partitionId()
         names, ids, held, sequence = [], [], 0, task << 36
         out_type = None
 
