@@ -1 +1 @@
-
+"""Column functions: hashing, clocks, distributed prefixes."""

@@ -1 +1 @@
-
+"""Structured Streaming forms of the window pipeline and its sink."""
