@@ -8,31 +8,38 @@ from pyspark.sql import functions as F
 from millrace.session import checkpoint_dir
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(node, root) of every node of `edges` (a, b: long); root is the smallest node that can be reached.
-
-    Each round gives every node the smallest root among its own and its neighbours', then replaces roots by their own
-    roots, which halves the depth of the trees; the graph's longest shortest path shrinks likewise, so rounds are
-    logarithmic in it. Roots are least values, which partial sums combine before they are shuffled, so a node with any
-    number of neighbours is no hot key. Edges and roots are checkpointed, never collected. Null ends and loops are left
-    out; an empty graph has no nodes.
+def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """(node, root) of every node of `edges` (a, b: long); root is one node of the component, the same for all of it.
+
+    Each round orders nodes at random by a hash, lets each node point at the first of itself and its neighbours,
+    follows the pointers one step further, and contracts the graph along them, which leaves a fraction of the nodes;
+    it ends when no edge is left. The pointers of all rounds, one after another, lead to the roots. Least values are
+    found by partial sums, so a node with any number of neighbours is no hot key. Graph and pointers are checkpointed,
+    never collected. Null ends and loops are left out; an empty graph has no nodes.
     """
     checkpoint_dir(edges.sparkSession)
-    pairs = edges.where("a is not null and b is not null and a <> b")
-    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a")).distinct().checkpoint()
-    roots = both.groupBy("node").agg(F.least(F.first("node"), F.min("other")).alias("root"))
-    for _ in range(most_rounds):
-        jumped = hop(roots)
-        heard = both.join(jumped.withColumnRenamed("node", "other"), "other").select("node", "root")
-        after = heard.union(jumped).groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("last")).checkpoint()
-        roots = after.select("node", "root")
-        # Roots agree along all edges exactly if no node has heard of another root than the least.
-        if after.where("root <> last").isEmpty():
-            return roots
-    raise RuntimeError(f"no fixed point in {most_rounds} rounds")
-
-
-def hop(roots: DataFrame) -> DataFrame:
-    """Each root replaced by its own root."""
-    up = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
+    graph = tidy(edges).checkpoint()
+    roots = None
+    for i in range(most_rounds):
+        if graph.isEmpty():
+            return roots if roots is not None else graph.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        order = lambda c, i=i: F.xxhash64(F.lit(i), c)
+        both = graph.select(F.col("a").alias("node"), F.col("b").alias("other")).union(graph.select("b", "a"))
+        best = both.groupBy("node").agg(F.min_by("other", order("other")).alias("best"))
+        points = best.select("node", F.when(order(F.col("best")) < order(F.col("node")), F.col("best")).otherwise(F.col("node")).alias("root"))
+        points = follow(points, points).checkpoint()
+        ends = graph.join(points.withColumnRenamed("node", "a"), "a").select(F.col("root").alias("x"), "b").join(points.withColumnRenamed("node", "b"), "b")
+        graph = tidy(ends.select(F.col("x").alias("a"), F.col("root").alias("b"))).checkpoint()
+        roots = points if roots is None else follow(roots, points)
+    raise RuntimeError(f"edges are left after {most_rounds} rounds")
+
+
+def tidy(edges: DataFrame) -> DataFrame:
+    """Each edge once, whatever its direction; no loops."""
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def follow(roots: DataFrame, points: DataFrame) -> DataFrame:
+    """Each root replaced by what it points at, if it does."""
+    up = points.select(F.col("node").alias("root"), F.col("root").alias("above"))
     return roots.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
