@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FNV32_OFFSET, FNV32_PRIME = 2166136261, 16777619
 FNV64_OFFSET, FNV64_PRIME = 14695981039346656037, 1099511628211
@@ -59,7 +60,7 @@ def fnv1a64(keys: list[bytes]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fnv64_signed(keys: pd.Series) -> pd.Series:
     """64-bit FNV-1a of strings, as the signed long of the same bits."""
     return pd.Series(fnv1a64([k.encode() for k in keys.fillna("")]).view(np.int64))
