@@ -23,10 +23,11 @@ def filter_bits(keys: int, bits_per_key: int = BITS_PER_KEY) -> int:
 
 
 def positions(keys: list[bytes], bits: int, probes: int = PROBES) -> np.ndarray:
-    """Bit positions of each key by double hashing with the halves of its 64-bit hash, the second made odd."""
+    """Bit positions of each key by double hashing: its 64-bit hash, and that hash turned by 31 bits as the step."""
     h = fnv1a64(keys)
-    first, step = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return (first[:, None] + np.arange(probes, dtype=np.uint64)[None, :] * step[:, None]) % np.uint64(bits)
+    step = (h >> np.uint64(33)) | (h << np.uint64(31))
+    with np.errstate(over="ignore"):
+        return (h[:, None] + np.arange(probes, dtype=np.uint64)[None, :] * step[:, None]) % np.uint64(bits)
 
 
 def build(keys: DataFrame, key_col: str, expected: int) -> bytes:

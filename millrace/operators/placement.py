@@ -82,7 +82,7 @@ def keys_by_node(placed: DataFrame, key: str, node: str = "node") -> DataFrame:
 
 def even_ranges(spark: SparkSession, count: int, nodes: list[str], keys: int, width: int = 5) -> DataFrame:
     """(start, end, node): `count` ranges over zero-padded keys k00000..; the last end is empty, the top."""
-    bound = lambda i: F.when((i > 0) & (i < count), F.format_string(f"k%0{width}d", (i * keys / F.lit(count)).cast("int"))).otherwise("")
+    bound = lambda i: F.when((i > 0) & (i < count), F.format_string(f"k%0{width}d", i * (keys // count))).otherwise("")
     numbers = spark.range(count).withColumn("id", F.col("id").cast("int"))
     return numbers.select(bound(F.col("id")).alias("start"), bound(F.col("id") + 1).alias("end"), modulo_node(F.col("id"), nodes).alias("node"))
 
