@@ -69,9 +69,10 @@ def reject_rekeying(change: Column, before: Column, key: str) -> Column:
 
 
 def schema_versions(ddl: DataFrame) -> DataFrame:
-    """(tbl, version, columns) from DDL rows (tbl, seq, action, name, type, default): create and add give a column, drop
-    takes one; each version is the array of (name, type, default) in force, numbered from 1 by seq."""
-    steps = ddl.groupBy("tbl").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "name", "type", "default"))).alias("steps"))
+    """(tbl, version, columns) from DDL rows (tbl, seq, ordinal, action, name, type, default): create and add give a column, drop
+    takes one; each version is the array of (name, type, default) in force, numbered from 1 by seq. `ordinal` orders the
+    columns of one step."""
+    steps = ddl.groupBy("tbl").agg(F.array_sort(F.collect_list(F.struct("seq", "ordinal", "action", "name", "type", "default"))).alias("steps"))
     grow = lambda acc, s: F.when(s["action"] == "drop", F.filter(acc, lambda c: c["name"] != s["name"])).otherwise(F.concat(acc, F.array(F.struct(s["name"].alias("name"), s["type"].alias("type"), s["default"].alias("default")))))
     none = F.array().cast("array<struct<name:string,type:string,default:string>>")
     numbered = steps.select("tbl", "steps", F.explode(F.array_distinct(F.transform("steps", lambda s: s["seq"]))).alias("seq"))
