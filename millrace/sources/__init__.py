@@ -1 +1 @@
-
+"""Sources: the Parquet tables of the queries, and key-value stores' own files."""
