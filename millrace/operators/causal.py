@@ -32,8 +32,8 @@ def merge_all(clocks: DataFrame, key: str, clock: str = "clock") -> DataFrame:
 
 
 def bump(clock: Column, node: str) -> Column:
-    """A clock with one more at `node`; needs spark.sql.mapKeyDedupPolicy=LAST_WIN."""
-    return F.map_concat(clock, F.create_map(F.lit(node), F.coalesce(F.try_element_at(clock, F.lit(node)), F.lit(0)).cast("long") + 1))
+    """A clock with one more at `node`."""
+    return F.map_concat(F.map_filter(clock, lambda k, v: k != F.lit(node)), F.create_map(F.lit(node), F.coalesce(F.try_element_at(clock, F.lit(node)), F.lit(0)).cast("long") + 1))
 
 
 def format_clock(clock: Column) -> Column:

@@ -58,8 +58,8 @@ def reconcile(source: DataFrame, copy: DataFrame, key: str = "pk", value: str =
 
 
 def patch(before: Column, change: Column) -> Column:
-    """A row map with a patch laid over it; needs spark.sql.mapKeyDedupPolicy=LAST_WIN."""
-    return F.map_concat(before, change)
+    """A row map with a patch laid over it."""
+    return F.map_concat(F.map_filter(before, lambda k, v: ~F.map_contains_key(change, k)), change)
 
 
 def reject_rekeying(change: Column, before: Column, key: str) -> Column:

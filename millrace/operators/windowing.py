@@ -21,11 +21,20 @@ MOST_WINDOWS = 1025
 
 
 def micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+    """Microseconds from 1970 to a TIMESTAMP_NTZ, whatever the session's time zone."""
+    ts = ts.cast("timestamp_ntz")
+    minutes = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    return minutes * (60 * SECOND) + (F.extract(F.lit("SECOND"), ts) * SECOND).cast("long")
 
 
 def from_micros(us: Column) -> Column:
-    return F.timestamp_micros(us).cast("timestamp_ntz")
+    seconds = (us.cast("decimal(20,0)") / SECOND).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
+def hour_of(ts: Column) -> Column:
+    """Hours from 1970: a bucket that ascends with time."""
+    return F.floor(micros(ts) / (3600 * SECOND))
 
 
 def truncate(us: Column, size: int) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import audit as A
 from millrace.operators import causal as K
+from millrace.operators.windowing import micros
 from millrace.plans.inputs import WRITES, writes
 from millrace.sources.tables import table
 
@@ -64,7 +65,7 @@ def quorum_read(spark, d):
 
 def readings(spark, d):
     """Wall readings of 16 nodes, some of which go back by a second."""
-    ms = F.unix_millis(F.col("ts").cast("timestamp")) - F.when(F.col("event_id") % 7 == 0, 10_000_000).otherwise(0)
+    ms = F.floor(micros(F.col("ts")) / 1000) - F.when(F.col("event_id") % 7 == 0, 10_000_000).otherwise(0)
     return table(spark, d, "events").select(F.pmod("user_id", F.lit(16)).alias("node"), "event_id", ms.alias("wall_ms"))
 
 
@@ -89,7 +90,7 @@ def hlc_update(spark, d):
 
 def sortable_ids(spark, d):
     """Ids of events at ten-second grain, so that some share a millisecond, and what they decode to."""
-    ms = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 10_000) * 10_000
+    ms = F.floor(F.floor(micros(F.col("ts")) / 1000) / 10_000) * 10_000
     rows = K.assign_ids(table(spark, d, "events").select(F.pmod("user_id", F.lit(1024)).alias("node"), ms.alias("ms"), "event_id"), "node", "ms", ["event_id"])
     at, node, sequence = K.decode_id(F.col("id"))
     return rows.select("event_id", "id", at.alias("at"), node.alias("node"), sequence.alias("sequence"))

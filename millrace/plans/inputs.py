@@ -16,7 +16,7 @@ def cents(c: str):
 def writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as writes: key customer, value price in cents, a delete where the status is F, numbered by date and key."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), cents("o_totalprice").alias("value"), (F.col("o_orderstatus") == "F").alias("is_delete"), "o_orderdate", "o_orderkey")
-    return number_rows(orders, F.date_trunc("month", "o_orderdate"), ["o_orderdate", "o_orderkey"], "seq", 1).select("key", "value", "is_delete", "seq")
+    return number_rows(orders, F.date_format("o_orderdate", "yyyyMM"), ["o_orderdate", "o_orderkey"], "seq", 1).select("key", "value", "is_delete", "seq")
 
 
 WRITES = """writes AS (

@@ -31,7 +31,7 @@ def weekly_agg(spark, d):
 
 
 def fated(spark, d, size=HOUR, slide=None):
-    return W.exact_windows(arrivals(spark, d), "ts", "key", "value", ORDER, F.date_trunc("hour", "arrival"), size, HOUR, 2 * HOUR, slide)
+    return W.exact_windows(arrivals(spark, d), "ts", "key", "value", ORDER, W.hour_of(F.col("arrival")), size, HOUR, 2 * HOUR, slide)
 
 
 def shown(frame):
@@ -64,7 +64,7 @@ def sink_counters(spark, d):
 
 
 def watermark_trace(spark, d):
-    marked = W.watermarks(arrivals(spark, d), "ts", ORDER, HOUR, F.date_trunc("hour", "arrival"))
+    marked = W.watermarks(arrivals(spark, d), "ts", ORDER, HOUR, W.hour_of(F.col("arrival")))
     return marked.select("event_id", W.from_micros(F.col("wm")).alias("watermark"))
 
 

@@ -9,13 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def session(cores: int | str = "*", shuffle_partitions: int = 8, driver_memory: str = "8g", **conf: str) -> SparkSession:
-    """A local session: UTC, adaptive execution on, Arrow on, map keys resolved by the last writer."""
+    """A local session: UTC, Arrow on; adaptive execution is on by default."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("millrace")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", driver_memory)
         .config("spark.ui.enabled", "false")
