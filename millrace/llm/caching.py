@@ -21,4 +21,7 @@ class Known(dict):
 
     def bounded(self, limit: int) -> Known:
         """Itself, or past `limit` keys a new generation, which leaves what was used last within reach."""
-        return self if len(self) <= limit else Known(self.learn, dict(self))
+        if len(self) <= limit:
+            return self
+        self.old = {}
+        return Known(self.learn, self)

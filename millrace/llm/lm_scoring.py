@@ -28,13 +28,14 @@ from pyspark.sql import types as T
 from millrace.llm.caching import Known
 from millrace.session import checkpoint_dir
 
-CLASSES, BUCKETS, FEATURES = 32, 1 << 15, 3
+CLASSES, BUCKETS, FEATURES = 16, 1 << 15, 3
 SMOOTHING = 0.1
 END = b"\n"  # no word holds a line feed
 #: Most words that are broadcast with their counts.
 HEAD_WORDS = 200_000
 FLUSH_WORDS, CACHE_WORDS, SLICE_ROWS = 300_000, 300_000, 256
-BATCH, RATE = 8192, 0.12
+BATCH, RATE, MOST_WEIGHT = 8192, 0.12, 20.0
+ONES = np.ones(CLASSES, np.float32)
 BLOCK, SALTS = 64, 64
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -55,38 +56,45 @@ def code_of(word: bytes) -> int:
     return class_of(word) << 32 | zlib.crc32(word)
 
 
-def contexts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of a text's words, and the feature buckets of their contexts, shape (words, FEATURES)."""
-    h = np.zeros(len(codes) + 2, np.uint64)
-    h[2:] = codes & 0xFFFFFFFF
-    one, two = h[1:-1], h[:-2]
+def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the words of texts, given as codes, and the feature buckets of their contexts, a row per feature."""
+    start = np.zeros(2, np.int64)
+    codes = np.concatenate([x for text in texts for x in (start, text)])
+    h = (codes & 0xFFFFFFFF).astype(np.uint64)
+    one, two = h[1:-1] + np.uint64(1), h[:-2] + np.uint64(3)
+    own = np.ones(len(codes), bool)  # all but the marks of the starts
+    at = np.cumsum([0] + [len(t) + 2 for t in texts[:-1]])
+    own[at] = own[at + 1] = False
     shift = np.uint64(64 - BUCKETS.bit_length() + 1)
     a, b, c, d = MULTIPLIERS
-    mixed = np.stack([(one + np.uint64(1)) * a, ((one + np.uint64(1)) * b) ^ ((two + np.uint64(3)) * c), (two + np.uint64(2)) * d], 1)
-    return codes >> 32, (mixed * a >> shift).astype(np.int64)
+    mixed = (one * a * a, ((one * b) ^ (two * c)) * a, two * d * a)
+    return (codes >> 32)[own], np.stack([(m >> shift).astype(np.uint16)[own[2:]] for m in mixed])
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    z = weights[features[:, 0]]
-    for j in range(1, features.shape[1]):
-        z += weights[features[:, j]]
+def log_odds(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Unnormalised log probabilities of the classes. They stay far from the range of 32-bit floats: see `descend`."""
+    z = weights.take(features[0], 0)
+    for f in features[1:]:
+        z += weights.take(f, 0)
     z += bias
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
 def descend(weights: np.ndarray, seen: np.ndarray, bias: np.ndarray, classes: np.ndarray, features: np.ndarray) -> None:
-    """One gradient step on a mini-batch; a bucket's step shrinks with the root of how often it was seen."""
-    rest = -np.exp(log_softmax(weights, bias, features))
-    rest[np.arange(len(classes)), classes] += 1
-    for j in range(features.shape[1]):
-        order = np.argsort(features[:, j], kind="stable")
-        own = features[order, j]
+    """One gradient step on a mini-batch; a bucket's step shrinks with the root of how often it was seen. Weights are
+    held between -MOST_WEIGHT and MOST_WEIGHT."""
+    p = np.exp(log_odds(weights, bias, features))
+    p *= (-1 / (p @ ONES))[:, None]
+    p[np.arange(len(classes)), classes] += 1
+    for f in features:
+        order = np.argsort(f, kind="stable")
+        own = f[order]
         starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         at = own[starts]
         seen[at] += np.diff(np.r_[starts, len(own)])
-        weights[at] += RATE * np.add.reduceat(rest[order], starts, 0) / np.sqrt(seen[at])[:, None]
+        step = np.add.reduceat(p.take(order, 0), starts, 0)
+        step *= (RATE / np.sqrt(seen[at]))[:, None]
+        weights[at] = np.clip(weights[at] + step, -MOST_WEIGHT, MOST_WEIGHT)
 
 
 @dataclass
@@ -99,22 +107,22 @@ class Scorer:
     spread: np.ndarray
     codes: Known | None = None
 
-    def __getstate__(self):
-        return self.__dict__ | {"codes": None}
-
     def numbers(self, words: list[bytes]) -> np.ndarray:
         self.codes = Known(code_of) if self.codes is None else self.codes
         return np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
 
-    def class_scores(self, codes: np.ndarray) -> float:
-        """Sum of log10 of class probabilities over denominators."""
-        classes, features = contexts(codes)
-        total = 0.0
-        for at in range(0, len(codes), BATCH):
+    def class_scores(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Of each text the sum of log10 of class probabilities over denominators."""
+        classes, features = contexts(texts)
+        scores = np.empty(len(classes))
+        for at in range(0, len(classes), BATCH):
             c = classes[at : at + BATCH]
-            z = log_softmax(self.weights, self.bias, features[at : at + BATCH])
-            total += float(z[np.arange(len(c)), c].sum(dtype=np.float64)) / np.log(10) - float(self.spread[c].sum())
-        return total
+            z = log_odds(self.weights, self.bias, features[:, at : at + BATCH])
+            own = z[np.arange(len(c)), c]
+            scores[at : at + BATCH] = own - np.log(np.exp(z, out=z) @ ONES)
+        scores /= np.log(10)
+        scores -= self.spread[classes]
+        return np.add.reduceat(scores, np.cumsum([0] + [len(t) for t in texts[:-1]]))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -143,26 +151,27 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def train_weights(docs: DataFrame, bias: np.ndarray) -> np.ndarray:
     """Weights after one pass over the texts, averaged over the tasks."""
-    shared = docs.sparkSession.sparkContext.broadcast(Scorer(bias, np.zeros((0, CLASSES), np.float32), {}, np.zeros(CLASSES)))
+    shared = docs.sparkSession.sparkContext.broadcast({})  # a worker keeps its copy, and so the codes that it found
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, salt = shared.value, TaskContext.get().partitionId() % SALTS
+        scorer = shared.value.setdefault("scorer", Scorer(bias, np.zeros((0, CLASSES), np.float32), {}, np.zeros(CLASSES)))
+        salt = TaskContext.get().partitionId() % SALTS
         weights, seen, tokens = np.zeros((BUCKETS, CLASSES), np.float32), np.ones(BUCKETS, np.float32), 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         waiting = 0
 
         def step():
-            classes, features = (np.concatenate(x) for x in zip(*held))
+            classes, features = contexts(held)
             for at in range(0, len(classes), BATCH):
-                descend(weights, seen, scorer.bias, classes[at : at + BATCH], features[at : at + BATCH])
+                descend(weights, seen, scorer.bias, classes[at : at + BATCH], features[:, at : at + BATCH])
             held.clear()
 
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 for text in batch.column(0).slice(at, SLICE_ROWS).to_pylist():
-                    held.append(contexts(scorer.numbers(words_of(text))))
-                    tokens += len(held[-1][0])
-                    waiting += len(held[-1][0])
+                    held.append(scorer.numbers(words_of(text)))
+                    tokens += len(held[-1])
+                    waiting += len(held[-1])
                     if waiting >= BATCH:
                         step()
                         waiting = 0
@@ -218,21 +227,23 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
         least = r["level"]
         head.append(least)
     frequent = {bytes(r["word"]): float(np.log10(r["n"] + SMOOTHING)) for r in counts.where(level >= head[-1]).select("word", "n").toLocalIterator()} if head else {}
-    scorer = Scorer(bias, train_weights(fit, bias), frequent, spread)
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    weights = train_weights(fit, bias)
+    shared = docs.sparkSession.sparkContext.broadcast({"weights": weights, "head": frequent})
 
     kind = rows.schema["id"].dataType
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", kind), T.StructField("word", T.BinaryType()), *[T.StructField(c, t()) for c, t in (("times", T.LongType), ("tokens", T.LongType), ("logs", T.DoubleType), ("classes", T.DoubleType))]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, row = shared.value, TaskContext.get().partitionId() << 40
+        box, row = shared.value, TaskContext.get().partitionId() << 40
+        known = box.setdefault("scorer", Scorer(bias, box["weights"], box["head"], spread))
         look = known.head.get
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 out: list[list] = [[] for _ in range(7)]
-                for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words = words_of(text)
+                split = [words_of(text) for text in part.column(1).to_pylist()]
+                classes = known.class_scores([known.numbers(words) for words in split])
+                for name, words, own in zip(part.column(0).to_pylist(), split, classes.tolist()):
                     logs, n_known = 0.0, 0
                     for word, times in Counter(words).items():
                         value = look(word)
@@ -243,14 +254,13 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
                         else:
                             logs += times * value
                             n_known += times
+                    out[0].append(row)
                     # A row for each rare word, then one for the document.
-                    for column, value in zip(out, (row, name, None, n_known, len(words), logs, known.class_scores(known.numbers(words)))):
-                        if column is not out[0]:
-                            column.extend([None] * (len(out[0]) - 1 - len(column)))
+                    for column, value in zip(out[1:], (name, None, n_known, len(words), logs, own)):
+                        column.extend([None] * (len(out[0]) - 1 - len(column)))
                         column.append(value)
                     row += 1
-                if known.codes is not None:
-                    known.codes = known.codes.bounded(CACHE_WORDS)
+                known.codes = known.codes.bounded(CACHE_WORDS)
                 types = (pa.int64(), batch.schema.field(0).type, pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], schema.fieldNames())
 

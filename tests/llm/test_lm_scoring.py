@@ -63,12 +63,13 @@ def test_class_probabilities_sum_to_one_and_learn():
     words = [b"aa", b"bb", b"cc", b"dd"]
     sequence = [words[i % 4] for i in range(4000)]
     codes = np.array([code_of(w) for w in sequence])
-    classes, features = contexts(codes)
+    classes, features = contexts([codes])
     weights, seen, bias = rng.normal(0, 0.01, (1 << 15, CLASSES)).astype(np.float32), np.ones(1 << 15, np.float32), np.zeros(CLASSES, np.float32)
-    before = Scorer(bias, weights.copy(), {}, np.zeros(CLASSES)).class_scores(codes)
+    score = lambda *texts: Scorer(bias, weights, {}, np.zeros(CLASSES)).class_scores([np.array(t) for t in texts])
+    before = score(codes)[0]
     for at in range(0, 4000, 500):
-        descend(weights, seen, bias, classes[at : at + 500], features[at : at + 500])
-    after = Scorer(bias, weights, {}, np.zeros(CLASSES)).class_scores(codes)
-    assert after > before / 5
-    total = sum(10 ** Scorer(bias, weights, {}, np.zeros(CLASSES)).class_scores(np.array([*codes[:5], c << 32])) for c in range(CLASSES))
-    assert total == pytest.approx(10 ** Scorer(bias, weights, {}, np.zeros(CLASSES)).class_scores(codes[:5]), rel=1e-4)
+        descend(weights, seen, bias, classes[at : at + 500], features[:, at : at + 500])
+    assert score(codes)[0] > before / 4
+    total = sum(10 ** x for x in score(*[[*codes[:5], c << 32] for c in range(CLASSES)]))
+    assert total == pytest.approx(10 ** score(codes[:5])[0], rel=1e-4)
+    assert score(codes[:7], codes[:1], codes[:300]).tolist() == pytest.approx([score(codes[:n])[0] for n in (7, 1, 300)])
