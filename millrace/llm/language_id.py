@@ -10,7 +10,7 @@ many texts and all languages advance together in one numpy step per symbol.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import Window
 
 BLOCK = 256
 #: Bounds of the training sample: documents and symbols a language, characters a document, languages.
-SAMPLE_DOCS, SAMPLE_SYMBOLS, SAMPLE_CHARS, MOST_LANGUAGES = 48, 20_000, 2_000, 64
+SAMPLE_DOCS, SAMPLE_SYMBOLS, SAMPLE_CHARS, MOST_LANGUAGES = 48, 12_000, 2_000, 64
 UNDETERMINED = "und"
 SLICE_ROWS, SLICE_BLOCKS = 256, 4096
 
@@ -187,10 +187,10 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
         raise ValueError("the new columns need names of their own")
     source = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType([*[source.schema[c] for c in keep], T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(astuple(model))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = LanguageModel(*shared.value)
         for batch in batches:
             langs, scores = [], []
             column = batch.column(batch.num_columns - 1)

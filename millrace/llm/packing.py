@@ -24,8 +24,8 @@ from millrace.llm.caching import Known
 
 WINDOW = 4096
 END_ID = 2
-GROUP_TOKENS = 1 << 21
-CACHE_WORDS = 400_000
+GROUP_TOKENS = 1 << 20
+CACHE_WORDS = 200_000
 SLICE_ROWS = 256
 
 
@@ -41,9 +41,6 @@ class CachedTokenizer:
     def __init__(self, path: str, words: int = CACHE_WORDS):
         self.path, self.limit, self.known, self.tokenizer = path, words, None, None
 
-    def __getstate__(self):
-        return {"path": self.path, "limit": self.limit, "known": None, "tokenizer": None}
-
     def open(self) -> None:
         from tokenizers import Tokenizer
 
@@ -162,10 +159,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     kind = source.schema["id"].dataType
     schema = T.StructType([T.StructField(id_col, kind), *(T.StructField(n, T.BinaryType() if n == "ids" else T.LongType()) for n in ("start", "length", "ids", "doc_tokens", "sequence_id", "offset"))])
     end = int(end_id).to_bytes(4, "little")
-    shared = docs.sparkSession.sparkContext.broadcast(CachedTokenizer(tokenizer_path))  # a worker keeps it, with the words it met
+    shared = docs.sparkSession.sparkContext.broadcast({})  # a worker keeps its copy, and so the words that it met
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, task = shared.value, TaskContext.get().partitionId()
+        tokenizer, task = shared.value.setdefault("tokenizer", CachedTokenizer(tokenizer_path)), TaskContext.get().partitionId()
         names, ids, held, sequence = [], [], 0, task << 36
         out_type = None
 
