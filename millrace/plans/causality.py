@@ -88,7 +88,7 @@ def hlc_update(spark, d):
     return new.select("event_id", "c.physical", "c.logical", "rejected")
 
 
-def sortable_ids(spark, d):
+def snowflake_encode_decode(spark, d):
     """Ids of events at ten-second grain, so that some share a millisecond, and what they decode to."""
     ms = F.floor(F.floor(micros(F.col("ts")) / 1000) / 10_000) * 10_000
     rows = K.assign_ids(table(spark, d, "events").select(F.pmod("user_id", F.lit(1024)).alias("node"), ms.alias("ms"), "event_id"), "node", "ms", ["event_id"])
@@ -171,7 +171,7 @@ def machine_state(spark, d):
     return A.state_at(log, 8000)
 
 
-QUERIES = {f.__name__: f for f in (vector_compare, vector_merge, siblings, anti_entropy, quorum_read, hlc_now, hlc_update, clock_rollback, sortable_ids, quorum_commit, replication_lag, ack_counts, read_your_writes, failover_loss, log_divergence, unsafe_terms, twopc_decide, twopc_in_doubt, saga_trace, machine_state)}
+QUERIES = {f.__name__: f for f in (vector_compare, vector_merge, siblings, anti_entropy, quorum_read, hlc_now, hlc_update, clock_rollback, snowflake_encode_decode, quorum_commit, replication_lag, ack_counts, read_your_writes, failover_loss, log_divergence, unsafe_terms, twopc_decide, twopc_in_doubt, saga_trace, machine_state)}
 
 TEXT = "'{click:' || click || ',purchase:' || purchase || ',view:' || view || '}'"
 
@@ -207,7 +207,7 @@ SELECT event_id, physical, row_number() OVER (PARTITION BY node, physical ORDER
 t AS (SELECT *, greatest(own, remote, wall_ms) AS physical FROM m)
 SELECT event_id, physical, CAST(CASE WHEN remote = physical THEN 6 WHEN own = physical THEN 4 ELSE 0 END AS BIGINT) AS logical, remote - wall_ms > 500 AS rejected FROM t""",
     "clock_rollback": f"WITH {READINGS} SELECT event_id, coalesce(wall_ms < max(wall_ms) OVER (PARTITION BY node ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS back FROM readings",
-    "sortable_ids": """WITH r AS (SELECT event_id, user_id % 1024 AS node, (epoch_us(ts) // 10000000) * 10000 AS ms FROM events), s AS (SELECT *, row_number() OVER (PARTITION BY node, ms ORDER BY event_id) - 1 AS sequence FROM r)
+    "snowflake_encode_decode": """WITH r AS (SELECT event_id, user_id % 1024 AS node, (epoch_us(ts) // 10000000) * 10000 AS ms FROM events), s AS (SELECT *, row_number() OVER (PARTITION BY node, ms ORDER BY event_id) - 1 AS sequence FROM r)
 SELECT event_id, CAST((ms - 1700000000000) * 4194304 + node * 4096 + sequence AS BIGINT) AS id, ms AS at, node, sequence FROM s""",
     "quorum_commit": f"WITH {REPLICAS}, m AS (SELECT node, max(idx) AS idx FROM replicas GROUP BY node) SELECT (SELECT count(*) FROM m) AS n, idx AS commit_idx FROM m ORDER BY idx DESC LIMIT 1 OFFSET 2",
     "replication_lag": f"WITH {REPLICAS}, m AS (SELECT node, max(idx) AS applied FROM replicas GROUP BY node) SELECT node, applied, (SELECT max(applied) FROM m) - applied AS lag FROM m",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions.bloom import build, may_contain
-from millrace.functions.hashing import ring_hash
+from millrace.functions.hashing import fnv64_signed, ring_hash
 from millrace.operators import placement as P
 from millrace.plans.logs import fnv_sql
 from millrace.sources.tables import table
@@ -103,7 +103,11 @@ def bloom_probe(spark, d):
     return truly.agg(F.count_if(F.col("hit") & ~F.col("may")).alias("missed"), F.count_if(F.col("hit")).alias("hits"))
 
 
-QUERIES = {f.__name__: f for f in (modulo_placement, modulo_movement, ring_points, ring_locate, ring_locate_joined, ring_movement, ring_after_leave, shard_keys, key_distribution, load_imbalance, even_ranges, range_locate, range_split_merge, range_rebalance, bloom_probe)}
+def fnv64_hashes(spark, d):
+    return table(spark, d, "nation").select("n_name", fnv64_signed("n_name").alias("h"))
+
+
+QUERIES = {f.__name__: f for f in (modulo_placement, modulo_movement, ring_points, ring_locate, ring_locate_joined, ring_movement, ring_after_leave, shard_keys, key_distribution, load_imbalance, even_ranges, range_locate, range_split_merge, range_rebalance, bloom_probe, fnv64_hashes)}
 
 
 def ring_sql(name: str, key: str, source: str, keep: str) -> str:
@@ -145,5 +149,7 @@ ORACLES = {
     "range_split_merge": f"""WITH {RANGES} SELECT start, "end", node FROM ranges WHERE start NOT IN ('k00125', 'k00250', 'k00500')
 UNION ALL VALUES ('k00125', 'k00375', 'node-1'), ('k00500', 'k00600', 'node-1'), ('k00600', 'k00625', 'node-9')""",
     "range_rebalance": "SELECT 'node-' || i AS node, CAST(3 AS BIGINT) AS ranges, CAST(3 AS BIGINT) AS moves FROM range(4) t(i)",
+    "fnv64_hashes": """WITH h AS (SELECT n_name, list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(string_split(n_name, ''), lambda x: CAST(ord(x) AS HUGEINT))), lambda h, x: (xor(h, x) * 1099511628211) % 18446744073709551616) AS h FROM nation)
+SELECT n_name, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS h FROM h""",
     "bloom_probe": "SELECT CAST(0 AS BIGINT) AS missed, count(*) AS hits FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
 }

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.operators import windowing as W
 from millrace.plans.inputs import ARRIVALS, arrivals, cents
+from millrace.session import checkpoint_dir
 from millrace.sources.tables import table
+from millrace.streaming.native import KeyedSink, run_to_end, window_stream
 
 HOUR = 3600
 ORDER = ["arrival", "event_id"]
@@ -25,7 +29,7 @@ def gapped_agg(spark, d):
     return W.window_sums(table(spark, d, "events"), "ts", "event_type", cents("value"), HOUR, 2 * HOUR)
 
 
-def weekly_agg(spark, d):
+def weekly_go_aligned(spark, d):
     """Weeks begin on Mondays, as counted from the first of January of year 1."""
     return W.window_sums(table(spark, d, "events"), "ts", "event_type", cents("value"), 7 * 24 * HOUR)
 
@@ -68,7 +72,25 @@ def watermark_trace(spark, d):
     return marked.select("event_id", W.from_micros(F.col("wm")).alias("watermark"))
 
 
-QUERIES = {f.__name__: f for f in (tumbling_agg, sliding_agg, gapped_agg, weekly_agg, window_revisions, sliding_revisions, window_late, sliding_late, window_sink, sink_counters, watermark_trace)}
+def streamed(spark, d, slide=None):
+    """The same sums by a stream over the table's file, through the keyed sink, in as many batches as it takes."""
+    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    sink = KeyedSink(spark, f"{folder}/sink", ["window_start", "window_end", "key"])
+    run_to_end(window_stream(events, "ts", "event_type", cents("value"), HOUR, HOUR, slide), sink, f"{folder}/checkpoint")
+    held = sink.read()
+    return held if held is not None else W.window_sums(table(spark, d, "events").limit(0), "ts", "event_type", cents("value"), HOUR)
+
+
+def stream_tumbling(spark, d):
+    return streamed(spark, d)
+
+
+def stream_sliding(spark, d):
+    return streamed(spark, d, HOUR // 4)
+
+
+QUERIES = {f.__name__: f for f in (tumbling_agg, sliding_agg, gapped_agg, weekly_go_aligned, window_revisions, sliding_revisions, window_late, sliding_late, window_sink, sink_counters, watermark_trace, stream_tumbling, stream_sliding)}
 
 
 def sums_sql(size: str, slide: str, steps: int) -> str:
@@ -102,8 +124,10 @@ LATE = "SELECT event_id, key, value, window_start, window_end FROM fated WHERE f
 ORACLES = {
     "tumbling_agg": sums_sql("1 HOUR", "1 HOUR", 1),
     "sliding_agg": sums_sql("1 HOUR", "15 MINUTE", 4),
+    "stream_tumbling": sums_sql("1 HOUR", "1 HOUR", 1),
+    "stream_sliding": sums_sql("1 HOUR", "15 MINUTE", 4),
     "gapped_agg": sums_sql("1 HOUR", "2 HOUR", 1),
-    "weekly_agg": sums_sql("7 DAY", "7 DAY", 1),
+    "weekly_go_aligned": sums_sql("7 DAY", "7 DAY", 1),
     "window_revisions": fated_sql("1 HOUR", 1) + EMITTED,
     "sliding_revisions": fated_sql("15 MINUTE", 4) + EMITTED,
     "window_late": fated_sql("1 HOUR", 1) + LATE,

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from millrace.operators.windowing import SECOND, YEAR_ONE
+from millrace.operators.windowing import YEAR_ONE
 
 
 def window_stream(events: DataFrame, time_col: str, key_col: str, value: Column, size_s: int, delay_s: int, slide_s: int | None = None) -> DataFrame:
@@ -34,7 +34,8 @@ class KeyedSink:
     """A table of one row per key, written by streams or batches; writing a batch again changes nothing.
 
     Each write reads the current version, lays the new rows over it, writes a new version folder, and then moves the
-    pointer, a one-line table, in one rename. The number of the last batch is part of the version.
+    pointer, a one-line table, in one rename. The number of the last batch is part of the version. A version holds all
+    keys, so a batch costs as much as the table: this is for aggregates, which are small beside what they sum up.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str]):
