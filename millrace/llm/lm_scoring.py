@@ -33,7 +33,7 @@ SMOOTHING = 0.1
 END = b"\n"  # no word holds a line feed
 #: Most words that are broadcast with their counts.
 HEAD_WORDS = 200_000
-FLUSH_WORDS, CACHE_WORDS, SLICE_ROWS = 300_000, 300_000, 256
+FLUSH_WORDS, CACHE_WORDS, SLICE_ROWS = 300_000, 500_000, 256
 BATCH, RATE, MOST_WEIGHT = 8192, 0.12, 20.0
 ONES = np.ones(CLASSES, np.float32)
 BLOCK, SALTS = 64, 64
@@ -97,19 +97,39 @@ def descend(weights: np.ndarray, seen: np.ndarray, bias: np.ndarray, classes: np
         weights[at] = np.clip(weights[at] + step, -MOST_WEIGHT, MOST_WEIGHT)
 
 
+class Vocabulary:
+    """Numbers of the words that a worker met, with their codes and the log10 of their counts (nan for rare words)."""
+
+    def __init__(self, head: dict[bytes, float]):
+        self.head = head
+        self.clear()
+
+    def clear(self) -> None:
+        self.index, self.codes, self.logs = Known(self.learn), np.empty(1 << 16, np.int64), np.empty(1 << 16)
+
+    def learn(self, word: bytes) -> int:
+        i = len(self.index)
+        if i == len(self.codes):
+            self.codes, self.logs = np.resize(self.codes, 2 * i), np.resize(self.logs, 2 * i)
+        self.codes[i], self.logs[i] = code_of(word), self.head.get(word, np.nan)
+        return i
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Places of words in `codes` and `logs`, which may be made anew: look them up after this."""
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+
+    def trim(self) -> None:
+        if len(self.index) > CACHE_WORDS:
+            self.clear()
+
+
 @dataclass
 class Scorer:
-    """bias and weights of the class model; log10 of counts + SMOOTHING of the head words; log10 of the denominators."""
+    """bias and weights of the class model; log10 of the denominators by class."""
 
     bias: np.ndarray
     weights: np.ndarray
-    head: dict[bytes, float]
     spread: np.ndarray
-    codes: Known | None = None
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        self.codes = Known(code_of) if self.codes is None else self.codes
-        return np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
 
     def class_scores(self, texts: list[np.ndarray]) -> np.ndarray:
         """Of each text the sum of log10 of class probabilities over denominators."""
@@ -154,8 +174,7 @@ def train_weights(docs: DataFrame, bias: np.ndarray) -> np.ndarray:
     shared = docs.sparkSession.sparkContext.broadcast({})  # a worker keeps its copy, and so the codes that it found
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = shared.value.setdefault("scorer", Scorer(bias, np.zeros((0, CLASSES), np.float32), {}, np.zeros(CLASSES)))
-        salt = TaskContext.get().partitionId() % SALTS
+        known, salt = shared.value.setdefault("vocabulary", Vocabulary({})), TaskContext.get().partitionId() % SALTS
         weights, seen, tokens = np.zeros((BUCKETS, CLASSES), np.float32), np.ones(BUCKETS, np.float32), 0
         held: list[np.ndarray] = []
         waiting = 0
@@ -163,19 +182,20 @@ def train_weights(docs: DataFrame, bias: np.ndarray) -> np.ndarray:
         def step():
             classes, features = contexts(held)
             for at in range(0, len(classes), BATCH):
-                descend(weights, seen, scorer.bias, classes[at : at + BATCH], features[:, at : at + BATCH])
+                descend(weights, seen, bias, classes[at : at + BATCH], features[:, at : at + BATCH])
             held.clear()
 
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 for text in batch.column(0).slice(at, SLICE_ROWS).to_pylist():
-                    held.append(scorer.numbers(words_of(text)))
+                    numbers = known.numbers(words_of(text))
+                    held.append(known.codes[numbers])
                     tokens += len(held[-1])
                     waiting += len(held[-1])
                     if waiting >= BATCH:
                         step()
                         waiting = 0
-                scorer.codes = scorer.codes.bounded(CACHE_WORDS)
+                known.trim()
         if held:
             step()
         if tokens:
@@ -235,32 +255,28 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box, row = shared.value, TaskContext.get().partitionId() << 40
-        known = box.setdefault("scorer", Scorer(bias, box["weights"], box["head"], spread))
-        look = known.head.get
+        known, scorer = box.setdefault("vocabulary", Vocabulary(box["head"])), Scorer(bias, box["weights"], spread)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 out: list[list] = [[] for _ in range(7)]
                 split = [words_of(text) for text in part.column(1).to_pylist()]
-                classes = known.class_scores([known.numbers(words) for words in split])
-                for name, words, own in zip(part.column(0).to_pylist(), split, classes.tolist()):
-                    logs, n_known = 0.0, 0
-                    for word, times in Counter(words).items():
-                        value = look(word)
-                        if value is None:
-                            out[0].append(row)
-                            out[2].append(word)
-                            out[3].append(times)
-                        else:
-                            logs += times * value
-                            n_known += times
+                numbers = [known.numbers(words) for words in split]
+                classes = scorer.class_scores([known.codes[n] for n in numbers])
+                for name, words, own, n in zip(part.column(0).to_pylist(), split, classes.tolist(), numbers):
+                    logs = known.logs[n]
+                    at_rare = np.flatnonzero(np.isnan(logs)).tolist()
+                    for word, times in Counter([words[i] for i in at_rare]).items():
+                        out[0].append(row)
+                        out[2].append(word)
+                        out[3].append(times)
                     out[0].append(row)
                     # A row for each rare word, then one for the document.
-                    for column, value in zip(out[1:], (name, None, n_known, len(words), logs, own)):
+                    for column, value in zip(out[1:], (name, None, len(words) - len(at_rare), len(words), float(np.nansum(logs)), own)):
                         column.extend([None] * (len(out[0]) - 1 - len(column)))
                         column.append(value)
                     row += 1
-                known.codes = known.codes.bounded(CACHE_WORDS)
+                known.trim()
                 types = (pa.int64(), batch.schema.field(0).type, pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], schema.fieldNames())
 

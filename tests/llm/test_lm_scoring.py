@@ -65,7 +65,7 @@ def test_class_probabilities_sum_to_one_and_learn():
     codes = np.array([code_of(w) for w in sequence])
     classes, features = contexts([codes])
     weights, seen, bias = rng.normal(0, 0.01, (1 << 15, CLASSES)).astype(np.float32), np.ones(1 << 15, np.float32), np.zeros(CLASSES, np.float32)
-    score = lambda *texts: Scorer(bias, weights, {}, np.zeros(CLASSES)).class_scores([np.array(t) for t in texts])
+    score = lambda *texts: Scorer(bias, weights, np.zeros(CLASSES)).class_scores([np.array(t) for t in texts])
     before = score(codes)[0]
     for at in range(0, 4000, 500):
         descend(weights, seen, bias, classes[at : at + 500], features[:, at : at + 500])
@@ -73,3 +73,15 @@ def test_class_probabilities_sum_to_one_and_learn():
     total = sum(10 ** x for x in score(*[[*codes[:5], c << 32] for c in range(CLASSES)]))
     assert total == pytest.approx(10 ** score(codes[:5])[0], rel=1e-4)
     assert score(codes[:7], codes[:1], codes[:300]).tolist() == pytest.approx([score(codes[:n])[0] for n in (7, 1, 300)])
+
+
+def test_a_vocabulary_grows_and_is_trimmed(monkeypatch):
+    from millrace.llm import lm_scoring
+
+    known = lm_scoring.Vocabulary({b"w7": -1.5})
+    words = [b"w%d" % i for i in range(200_000)]
+    n = known.numbers(words)
+    assert known.codes[n].tolist() == [code_of(w) for w in words] and known.logs[n[7]] == -1.5 and np.isnan(known.logs[n[8:]]).all()
+    monkeypatch.setattr(lm_scoring, "CACHE_WORDS", 10)
+    known.trim()
+    assert not known.index and known.codes[known.numbers([b"w7"])].tolist() == [code_of(b"w7")]
