@@ -74,17 +74,18 @@ def watermarks(events: DataFrame, time_col: str, order: list[str], bound_s: int,
 
 
 def exact_windows(events: DataFrame, time_col: str, key_col: str, value_col: str, order: list[str], bucket: Column, size_s: int, bound_s: int, lateness_s: int, slide_s: int | None = None) -> DataFrame:
-    """One row per event and window: key, value, window_start and window_end (microseconds), wm, and `fate`.
+    """One row per event and window: key, value, window_start and window_end (microseconds), wm, last_wm, and `fate`.
 
     fate is on_time (watermark not past the window's end), tardy (past it, within the lateness) or too_late. A null
     key is a heartbeat: it moves the watermark and is in no pane, so those rows have no window.
     """
     size = size_s * SECOND
-    marked = watermarks(events, time_col, order, bound_s, bucket)
+    last = events.agg((F.max(micros(F.col(time_col))) - bound_s * SECOND).alias("last_wm"))  # one row
+    marked = watermarks(events, time_col, order, bound_s, bucket).join(F.broadcast(last))
     placed = marked.withColumn("window_start", F.explode_outer(F.when(F.col(key_col).isNotNull(), window_starts(micros(F.col(time_col)), size, slide_s and slide_s * SECOND))))
     end = F.col("window_start") + size
     fate = F.when(F.col("wm") > end + lateness_s * SECOND, "too_late").when(F.col("wm") > end, "tardy").otherwise("on_time")
-    return placed.select(*order, F.col(key_col).alias("key"), F.col(value_col).alias("value"), "window_start", end.alias("window_end"), "wm", F.when(F.col("window_start").isNotNull(), fate).alias("fate"))
+    return placed.select(*order, F.col(key_col).alias("key"), F.col(value_col).alias("value"), "window_start", end.alias("window_end"), "wm", "last_wm", F.when(F.col("window_start").isNotNull(), fate).alias("fate"))
 
 
 def emissions(fated: DataFrame, order: list[str]) -> DataFrame:
@@ -93,17 +94,14 @@ def emissions(fated: DataFrame, order: list[str]) -> DataFrame:
     Revision 1 sums the events on time, once the last watermark is past the end; each tardy event adds one revision.
     """
     panes = ["window_start", "window_end", "key"]
-    counted = fated.where("fate in ('on_time', 'tardy')")
-    last = fated.agg(F.max("wm").alias("last_wm"))
-    first = counted.where("fate = 'on_time'").groupBy(*panes).agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
-    closed = first.crossJoin(F.broadcast(last)).where("last_wm > window_end").select(*panes, F.lit(1).cast("long").alias("revision"), "total", "n")
-    run = Window.partitionBy(*panes).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    tardy = counted.where("fate = 'tardy'").select(*panes, F.count(F.lit(1)).over(run).alias("k"), F.sum("value").over(run).alias("more"))
-    base = first.select(*panes, F.col("total").alias("base"), F.col("n").alias("base_n"))
-    again = tardy.join(base, panes, "left").select(
-        *panes, (F.col("k") + F.when(F.col("base_n").isNotNull(), 1).otherwise(0)).alias("revision"), (F.coalesce("base", F.lit(0)) + F.col("more")).alias("total"), (F.coalesce("base_n", F.lit(0)) + F.col("k")).alias("n")
-    )
-    return closed.unionByName(again)
+    on_time = fated.where("fate = 'on_time'").groupBy(*panes, "last_wm").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("count"))
+    first = on_time.select(*panes, "last_wm", F.lit(0).alias("late"), "value", "count")
+    tardy = fated.where("fate = 'tardy'").select(*panes, "last_wm", F.lit(1).alias("late"), "value", F.lit(1).cast("long").alias("count"), *order)
+    run = Window.partitionBy(*panes).orderBy("late", *order)
+    upto = run.rowsBetween(Window.unboundedPreceding, 0)
+    rows = tardy.unionByName(first, allowMissingColumns=True)
+    sums = rows.select(*panes, "last_wm", "late", F.row_number().over(run).cast("long").alias("revision"), F.sum("value").over(upto).alias("total"), F.sum("count").over(upto).alias("n"))
+    return sums.where("late = 1 or last_wm > window_end").select(*panes, "revision", "total", "n")
 
 
 def side_output(fated: DataFrame, order: list[str]) -> DataFrame:
