@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -33,7 +34,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = os.environ.get("MILLRACE_SHARED") or tempfile.mkdtemp(prefix="millrace-")
+        named = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(named)
