@@ -85,10 +85,11 @@ def search_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
     rows = rows.select("vec_id", "asks", whole(F.col("v")).alias("v"))
     total, asking = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
     nv, nq = max(1, -(-total // vectors_a_block)), max(1, -(-asking // queries_a_block))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(n)), F.lit(n)).cast("int")
+    deal = lambda n, *by: F.pmod(F.xxhash64(F.lit(n), *by), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.where("asks").dropDuplicates(["vec_id", "v"]).select(F.size("v").alias("d"), deal(nq).alias("qb"), every(nv).alias("vb"), F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("version"), "v")
-    right = rows.select(F.size("v").alias("d"), every(nq).alias("qb"), deal(nv).alias("vb"), "vec_id", "v")
+    left = rows.where("asks").dropDuplicates(["vec_id", "v"]).select(F.size("v").alias("d"), deal(nq, "vec_id", "v").alias("qb"), every(nv).alias("vb"), F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("version"), "v")
+    placed = rows.withColumn("row", F.monotonically_increasing_id())  # a repeated id fills no block alone
+    right = placed.select(F.size("v").alias("d"), every(nq).alias("qb"), deal(nv, "row").alias("vb"), "vec_id", "v")
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("query_id", "version", "vec_id", "score")])
 
     def matrix(column: pa.ChunkedArray) -> np.ndarray:
