@@ -19,7 +19,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,15 +58,16 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp): a row per row of `docs`; fp is the fingerprint as a signed number."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, versions: bool = False) -> DataFrame:
+    """(id, fp): a row per row of `docs`; fp is the fingerprint as a signed number. With `versions` also the text's hash."""
+    version = [F.xxhash64(F.col(text_col).cast("string")).alias("version")] if versions else []
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), *version)
+    schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("fp", T.LongType()), *source.schema.fields[2:]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [signed(fingerprint(text)) for at in range(0, batch.num_rows, SLICE_ROWS) for text in batch.column(1).slice(at, SLICE_ROWS).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], schema.fieldNames())
 
     return source.mapInArrow(run, schema)
 
@@ -173,13 +174,18 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reached. Repeated rows are a group of their own; a null id is never a component's id unless all its ids are null.
     An empty table gives an empty table; other columns are left out.
     """
+    return rooted_documents(docs, id_col, text_col, most_in_bucket).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def rooted_documents(docs: DataFrame, id_col: str, text_col: str, most_in_bucket: int = MOST_IN_BUCKET, versions: bool = False) -> DataFrame:
+    """(id, fp, root, component_id) and with `versions` the text's hash: a row per row of `docs`; root is the component's own."""
     checkpoint_dir(docs.sparkSession)
-    known = fingerprints(docs, id_col, text_col).checkpoint()
+    known = fingerprints(docs, id_col, text_col, versions).checkpoint()
     distinct = known.groupBy("fp").agg(F.min("id").alias("least"))
     roots = connected_components(near_links(distinct.select("fp"), most_in_bucket))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return known.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return known.join(named, "fp")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -189,13 +195,16 @@ def hex_digits(fp: Column) -> Column:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component of near documents the row with the smallest id, with all its columns.
 
-    Of rows that share that id one stays, the one whose text has the least hash.
+    A null id counts as the largest. Of rows of a component that share that id one stays, the one whose text has the
+    least hash. Components that share an id, or have none, each keep a row of their own.
     """
-    found = near_documents(docs, id_col, text_col)
-    stays = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    met = docs.alias("d").join(stays.alias("s"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("s.id")))
+    found = rooted_documents(docs, id_col, text_col, versions=True)
+    own = found.groupBy("root", "id", "version").agg(F.count(F.lit(1)).alias("n"))
+    least = own.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "version", "n")).alias("s"))
+    stays = least.select("s.id", "s.version", "s.n")
+    version = F.xxhash64(F.col(f"d.`{text_col}`").cast("string"))
+    met = docs.alias("d").join(stays.alias("s"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("s.id")) & (version == F.col("s.version")))
     plain = met.where("s.n = 1").select("d.*")
     if stays.where("n > 1").isEmpty():
         return plain
-    chosen = F.row_number().over(Window.partitionBy(F.col(f"d.`{id_col}`")).orderBy(F.xxhash64(F.col(f"d.`{text_col}`").cast("string"))))
-    return plain.union(met.where("s.n > 1").withColumn("__nth", chosen).where("__nth = 1").select("d.*"))
+    return plain.union(met.where("s.n > 1").select("d.*", version.alias("__version")).dropDuplicates([id_col, "__version"]).drop("__version"))
