@@ -2,7 +2,8 @@
 
 A word's probability is that of its class in its context times its own within the class. The class comes from the
 word's ending (the end of a document is a class of its own). Class probabilities are a softmax over sums of weights of
-hashed features: the word before, the two words before, and the word before that alone (a skip). Weights are trained
+hashed features: the word before, the two words before, and the word before that alone (a skip). The number of buckets
+that features are hashed to grows in proportion to the training tokens. Weights are trained
 by gradient updates on all training documents: each task descends through its documents in mini-batches from shared
 weights, and the weights of all tasks are averaged, weighted by tokens, block by block. Within a class words have their
 smoothed training counts.
@@ -28,7 +29,9 @@ from pyspark.sql import types as T
 from millrace.llm.caching import Known
 from millrace.session import checkpoint_dir
 
-CLASSES, BUCKETS, FEATURES = 16, 1 << 15, 3
+CLASSES, FEATURES = 32, 3
+#: Least number of buckets, and the training tokens for each bucket beyond it.
+BUCKETS, TOKENS_A_BUCKET = 1 << 15, 4096
 SMOOTHING = 0.1
 END = b"\n"  # no word holds a line feed
 #: Most words that are broadcast with their counts.
@@ -56,7 +59,12 @@ def code_of(word: bytes) -> int:
     return class_of(word) << 32 | zlib.crc32(word)
 
 
-def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def buckets_for(tokens: int) -> int:
+    """Number of feature buckets, a power of two, that grows in proportion to the training tokens."""
+    return max(BUCKETS, 1 << (-(-tokens // TOKENS_A_BUCKET)).bit_length())
+
+
+def contexts(texts: list[np.ndarray], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the words of texts, given as codes, and the feature buckets of their contexts, a row per feature."""
     start = np.zeros(2, np.int64)
     codes = np.concatenate([x for text in texts for x in (start, text)])
@@ -65,10 +73,11 @@ def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     own = np.ones(len(codes), bool)  # all but the marks of the starts
     at = np.cumsum([0] + [len(t) + 2 for t in texts[:-1]])
     own[at] = own[at + 1] = False
-    shift = np.uint64(64 - BUCKETS.bit_length() + 1)
+    shift = np.uint64(64 - buckets.bit_length() + 1)
     a, b, c, d = MULTIPLIERS
     mixed = (one * a * a, ((one * b) ^ (two * c)) * a, two * d * a)
-    return (codes >> 32)[own], np.stack([(m >> shift).astype(np.uint16)[own[2:]] for m in mixed])
+    kind = np.uint16 if buckets <= 1 << 16 else np.uint32  # short ones are sorted faster
+    return (codes >> 32)[own], np.stack([(m >> shift).astype(kind)[own[2:]] for m in mixed])
 
 
 def log_odds(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -133,7 +142,7 @@ class Scorer:
 
     def class_scores(self, texts: list[np.ndarray]) -> np.ndarray:
         """Of each text the sum of log10 of class probabilities over denominators."""
-        classes, features = contexts(texts)
+        classes, features = contexts(texts, len(self.weights))
         scores = np.empty(len(classes))
         for at in range(0, len(classes), BATCH):
             c = classes[at : at + BATCH]
@@ -169,18 +178,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n"))
 
 
-def train_weights(docs: DataFrame, bias: np.ndarray) -> np.ndarray:
+def train_weights(docs: DataFrame, bias: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """Weights after one pass over the texts, averaged over the tasks."""
     shared = docs.sparkSession.sparkContext.broadcast({})  # a worker keeps its copy, and so the codes that it found
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, salt = shared.value.setdefault("vocabulary", Vocabulary({})), TaskContext.get().partitionId() % SALTS
-        weights, seen, tokens = np.zeros((BUCKETS, CLASSES), np.float32), np.ones(BUCKETS, np.float32), 0
+        weights, seen, tokens = np.zeros((buckets, CLASSES), np.float32), np.ones(buckets, np.float32), 0
         held: list[np.ndarray] = []
         waiting = 0
 
         def step():
-            classes, features = contexts(held)
+            classes, features = contexts(held, buckets)
             for at in range(0, len(classes), BATCH):
                 descend(weights, seen, bias, classes[at : at + BATCH], features[:, at : at + BATCH])
             held.clear()
@@ -213,7 +222,7 @@ def train_weights(docs: DataFrame, bias: np.ndarray) -> np.ndarray:
 
     # Each group holds the blocks of a 64th of the tasks, then of all 64.
     merged = docs.mapInArrow(run, schema).groupBy("block", "salt").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
-    out = np.zeros((BUCKETS, CLASSES), np.float32)
+    out = np.zeros((buckets, CLASSES), np.float32)
     for r in merged.collect():
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = (np.frombuffer(r["sums"], "<f4") / r["tokens"]).reshape(BLOCK, CLASSES)
     return out
@@ -247,7 +256,7 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
         least = r["level"]
         head.append(least)
     frequent = {bytes(r["word"]): float(np.log10(r["n"] + SMOOTHING)) for r in counts.where(level >= head[-1]).select("word", "n").toLocalIterator()} if head else {}
-    weights = train_weights(fit, bias)
+    weights = train_weights(fit, bias, buckets_for(tokens))
     shared = docs.sparkSession.sparkContext.broadcast({"weights": weights, "head": frequent})
 
     kind = rows.schema["id"].dataType
