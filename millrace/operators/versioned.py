@@ -109,23 +109,32 @@ def version_stats(history: DataFrame, key: str) -> DataFrame:
 
 
 def conflicts(touched: DataFrame, history: DataFrame, key: str) -> DataFrame:
-    """Rows of `touched` (txn, read_ts, commit_ts, key) whose key got a version after the snapshot and before the commit."""
-    t, v = touched.alias("t"), history.alias("v")
-    later = (F.col(f"t.{key}") == F.col(f"v.{key}")) & (F.col("v.start_ts") > F.col("t.read_ts")) & (F.col("v.start_ts") < F.col("t.commit_ts"))
-    return t.join(v, later, "left_semi")
+    """Rows of `touched` (txn, read_ts, commit_ts, key) whose key got a version after the snapshot and before the commit.
+
+    Snapshots and versions of a key pass in descending time, so each snapshot knows the first version after it.
+    """
+    asked = touched.select(F.col(key).alias("k"), F.col("read_ts").alias("at"), F.lit(None).cast("long").alias("start"), F.struct("*").alias("row"))
+    known = history.select(F.col(key).alias("k"), F.col("start_ts").alias("at"), F.col("start_ts").cast("long").alias("start"), F.lit(None).cast(asked.schema["row"].dataType).alias("row"))
+    down = Window.partitionBy("k").orderBy(F.desc("at"), F.col("start").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = asked.union(known).withColumn("next", F.last("start", ignorenulls=True).over(down))
+    return met.where("row is not null and next < row.commit_ts").select("row.*")
 
 
 def write_skew(txns: DataFrame, reads: DataFrame, writes: DataFrame) -> DataFrame:
     """(a, b): transactions that overlap in time, each of which read what the other wrote, and wrote nothing in common.
 
-    txns (txn, read_ts, commit_ts); reads and writes (txn, key). Pairs come from joins on keys.
+    txns (txn, read_ts, commit_ts); reads and writes (txn, key). Joins are on keys and stretches of time as long as the
+    longest transaction, so that only transactions near in time meet.
     """
-    met = reads.alias("r").join(writes.alias("w"), F.col("r.key") == F.col("w.key")).where("r.txn <> w.txn").select(F.col("r.txn").alias("reader"), F.col("w.txn").alias("writer")).distinct()
-    both = met.alias("x").join(met.alias("y"), (F.col("x.reader") == F.col("y.writer")) & (F.col("x.writer") == F.col("y.reader"))).where("x.reader < x.writer").select(F.col("x.reader").alias("a"), F.col("x.writer").alias("b"))
-    span = lambda side: txns.select(F.col("txn").alias(side), F.col("read_ts").alias(f"{side}_read"), F.col("commit_ts").alias(f"{side}_commit"))
-    timed = both.join(span("a"), "a").join(span("b"), "b").where("a_read < b_commit and b_read < a_commit")
-    common = writes.alias("p").join(writes.alias("q"), F.col("p.key") == F.col("q.key")).where("p.txn < q.txn").select(F.col("p.txn").alias("a"), F.col("q.txn").alias("b")).distinct()
-    return timed.select("a", "b").join(common, ["a", "b"], "left_anti")
+    width = txns.agg(F.greatest(F.max(F.col("commit_ts") - F.col("read_ts")), F.lit(1))).first()[0] or 1
+    stretch = F.explode(F.sequence(F.floor(F.col("read_ts") / width), F.floor(F.col("commit_ts") / width))).alias("stretch")
+    timed = lambda touched: touched.join(txns, "txn").select("txn", "key", "read_ts", "commit_ts", stretch)
+    near = [F.col("x.key") == F.col("y.key"), F.col("x.stretch") == F.col("y.stretch"), F.col("x.read_ts") < F.col("y.commit_ts"), F.col("y.read_ts") < F.col("x.commit_ts"), F.col("x.txn") != F.col("y.txn")]
+    pairs = lambda left, right: left.alias("x").join(right.alias("y"), near).select(F.col("x.txn").alias("a"), F.col("y.txn").alias("b")).distinct()
+    read, wrote = timed(reads), timed(writes)
+    met = pairs(read, wrote)
+    both = met.where("a < b").join(met.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"])
+    return both.join(pairs(wrote, wrote), ["a", "b"], "left_anti")
 
 
 def replay_commits(txns: DataFrame, group: str = "db") -> DataFrame:

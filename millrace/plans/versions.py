@@ -133,7 +133,8 @@ SELECT a.tbl AS a, b.tbl AS b FROM t a JOIN t b ON a.low <= b.low + 30 AND a.low
     "mvcc_gc": f"WITH {HISTORY} SELECT key, start_ts FROM history WHERE end_ts = 0 OR end_ts > {FRESH}",
     "mvcc_stats": f"WITH {HISTORY} SELECT count(DISTINCT key) AS keys, count(*) AS versions, count(*) FILTER (end_ts = 0 AND NOT deleted) AS live FROM history",
     "mvcc_conflicts": f"{TXNS} SELECT w.txn, w.key FROM w JOIN spans s USING (txn) WHERE EXISTS (SELECT 1 FROM writes v WHERE v.key % 97 = w.key AND v.seq > s.read_ts AND v.seq < s.commit_ts - 2)",
-    "mvcc_write_skew": f"""{TXNS}, met AS (SELECT DISTINCT r.txn AS reader, w.txn AS writer FROM r JOIN w USING (key) WHERE r.txn <> w.txn)
-SELECT x.reader AS a, x.writer AS b FROM met x JOIN met y ON x.reader = y.writer AND x.writer = y.reader JOIN spans p ON p.txn = x.reader JOIN spans q ON q.txn = x.writer
-WHERE x.reader < x.writer AND p.read_ts < q.commit_ts AND q.read_ts < p.commit_ts AND NOT EXISTS (SELECT 1 FROM w m JOIN w n USING (key) WHERE m.txn = x.reader AND n.txn = x.writer)""",
+    "mvcc_write_skew": f"""{TXNS}, met AS (SELECT DISTINCT r.txn AS reader, w.txn AS writer FROM r JOIN w USING (key) JOIN spans p ON p.txn = r.txn JOIN spans q ON q.txn = w.txn
+  WHERE r.txn <> w.txn AND p.read_ts < q.commit_ts AND q.read_ts < p.commit_ts),
+common AS (SELECT DISTINCT m.txn AS a, n.txn AS b FROM w m JOIN w n USING (key) WHERE m.txn < n.txn)
+SELECT x.reader AS a, x.writer AS b FROM met x JOIN met y ON x.reader = y.writer AND x.writer = y.reader LEFT JOIN common c ON c.a = x.reader AND c.b = x.writer WHERE x.reader < x.writer AND c.a IS NULL""",
 }
