@@ -23,8 +23,8 @@ def own_term_commit(commit: DataFrame, log: DataFrame, term: int) -> DataFrame:
 
 def replication_lag(applied: DataFrame, leader_idx: int | None = None) -> DataFrame:
     """(node, applied, lag) against the leader's index, or the largest."""
-    top = F.lit(leader_idx) if leader_idx is not None else F.max("applied").over(Window.partitionBy(F.lit(0)))
-    return applied.select("node", "applied", (top - F.col("applied")).alias("lag"))
+    top = applied.sparkSession.range(1).select(F.lit(leader_idx).cast("long").alias("top")) if leader_idx is not None else applied.agg(F.max("applied").alias("top"))
+    return applied.crossJoin(F.broadcast(top)).select("node", "applied", (F.col("top") - F.col("applied")).alias("lag"))  # one row is broadcast
 
 
 def ack_counts(acks: DataFrame, needed: int) -> DataFrame:

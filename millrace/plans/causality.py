@@ -97,14 +97,15 @@ def snowflake_encode_decode(spark, d):
 
 
 def replicas(spark, d):
-    """Five nodes, each a hundred entries further behind, from the writes; the first three hold what is committed."""
-    w = writes(spark, d).select(F.col("seq").alias("idx"), F.floor(F.col("seq") / 5000).alias("term"), "key", "value").where("idx <= 3000")
-    held = w.crossJoin(F.broadcast(spark.range(5).select(F.col("id").alias("n")))).where("idx <= 3000 - n * 100")
-    return held.select(F.concat(F.lit("n"), F.col("n").cast("string")).alias("node"), "idx", "term", "key", "value", (F.col("idx") <= 2800).alias("committed"))
+    """Five nodes, each a hundred entries further behind, from all writes; the first three hold what is committed."""
+    w = writes(spark, d).select(F.col("seq").alias("idx"), F.floor(F.col("seq") / 5000).alias("term"), "key", "value")
+    head = F.broadcast(w.agg(F.max("idx").alias("head")))  # one row
+    held = w.crossJoin(head).crossJoin(F.broadcast(spark.range(5).select(F.col("id").alias("n")))).where("idx <= head - n * 100")
+    return held.select(F.concat(F.lit("n"), F.col("n").cast("string")).alias("node"), "idx", "term", "key", "value", (F.col("idx") <= F.col("head") - 200).alias("committed"))
 
 
-REPLICAS = f"""{WRITES}, replicas AS (
-  SELECT 'n' || n AS node, seq AS idx, seq // 5000 AS term, key, value, seq <= 2800 AS committed FROM writes, range(5) t(n) WHERE seq <= 3000 - n * 100)"""
+REPLICAS = f"""{WRITES}, head AS (SELECT max(seq) AS head FROM writes), replicas AS (
+  SELECT 'n' || n AS node, seq AS idx, seq // 5000 AS term, key, value, seq <= head - 200 AS committed FROM writes, head, range(5) t(n) WHERE seq <= head - n * 100)"""
 
 
 def quorum_commit(spark, d):
@@ -120,9 +121,10 @@ def ack_counts(spark, d):
 
 
 def read_your_writes(spark, d):
-    """Nodes that may serve sessions that wrote entry 2750."""
+    """Nodes that may serve sessions that wrote the entry 250 before the last."""
     at = replicas(spark, d).groupBy("node").agg(F.max("idx").alias("applied"))
-    return at.select("node", A.may_serve("session", F.lit(False), F.col("applied"), F.lit(2750)).alias("ok"))
+    met = at.crossJoin(F.broadcast(at.agg((F.max("applied") - 250).alias("session"))))
+    return met.select("node", A.may_serve("session", F.lit(False), F.col("applied"), F.col("session")).alias("ok"))
 
 
 def failover_loss(spark, d):
@@ -212,8 +214,8 @@ SELECT event_id, CAST((ms - 1700000000000) * 4194304 + node * 4096 + sequence AS
     "quorum_commit": f"WITH {REPLICAS}, m AS (SELECT node, max(idx) AS idx FROM replicas GROUP BY node) SELECT (SELECT count(*) FROM m) AS n, idx AS commit_idx FROM m ORDER BY idx DESC LIMIT 1 OFFSET 2",
     "replication_lag": f"WITH {REPLICAS}, m AS (SELECT node, max(idx) AS applied FROM replicas GROUP BY node) SELECT node, applied, (SELECT max(applied) FROM m) - applied AS lag FROM m",
     "ack_counts": f"WITH {REPLICAS} SELECT idx, count(DISTINCT node) AS acks, count(DISTINCT node) >= 3 AS done FROM replicas GROUP BY idx",
-    "read_your_writes": f"WITH {REPLICAS} SELECT node, max(idx) >= 2750 AS ok FROM replicas GROUP BY node",
-    "failover_loss": f"WITH {REPLICAS} SELECT DISTINCT idx, term, key, value FROM replicas WHERE committed AND idx > 2700",
+    "read_your_writes": f"WITH {REPLICAS} SELECT node, max(idx) >= (SELECT head FROM head) - 250 AS ok FROM replicas GROUP BY node",
+    "failover_loss": f"WITH {REPLICAS} SELECT DISTINCT idx, term, key, value FROM replicas WHERE committed AND idx > (SELECT head FROM head) - 300",
     "log_divergence": "SELECT CAST(1234 AS BIGINT) AS idx",
     "unsafe_terms": "SELECT CAST(3 AS BIGINT) AS term, CAST(2 AS BIGINT) AS leaders",
     "twopc_decide": """WITH v AS (SELECT l_orderkey AS txn, l_suppkey % 5 AS p, bool_or(l_returnflag = 'R') AS no FROM lineitem GROUP BY ALL)
