@@ -29,11 +29,13 @@ def session(cores: int | str = "*", shuffle_partitions: int = 8, driver_memory:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: `spark.checkpoint.dir`, or where unset one of this machine.
 
-    A cluster has to name the folder; the fallback is for single-machine runs such as tests.
+    A cluster has to name the folder, or else this fails; the fallback is for single-machine runs such as tests.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         named = tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
