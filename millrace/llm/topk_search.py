@@ -20,13 +20,15 @@ from pyspark.sql import types as T
 
 VECTORS_A_BLOCK, QUERIES_A_BLOCK = 8192, 2048
 SHORT_LIST = 256
-DEPTHS = (0.5, 0.75, 1.0)
+#: Shares of the lists after which bounds are taken.
+DEPTHS = (0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0)
 
 
-def nra_topk(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray, names: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def nra_topk(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray, names: np.ndarray, k: int, stops: list[float] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query row, vector rows, scores) of the k best vectors of each query, ties to the smaller name.
 
-    own: each query's own name, which takes no part. All values are whole numbers.
+    own: each query's own name, which takes no part. All values are whole numbers. stops: gets the share of the lists
+    that was read for each query; 1 means that the bounds never settled it and all was read.
     """
     n, d = vectors.shape
     if not n or not len(queries):
@@ -59,6 +61,8 @@ def nra_topk(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray, names: n
             rows = np.flatnonzero(may[i])
             scores = ((x[rows] @ q[open_rows[i]]) if depth < n else lower[i, rows]).astype(np.int64)
             best = np.lexsort((names[rows], -scores))[:k]
+            if stops is not None:
+                stops.append(share)
             yield int(open_rows[i]), rows[best], scores[best]
         open_rows = open_rows[~done]
         if not len(open_rows):

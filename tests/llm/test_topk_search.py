@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from millrace.llm.queries import op3_topk_search
@@ -43,3 +44,13 @@ def test_bounds_stop_before_the_end_and_stay_exact():
             full = x @ q[i]
             best = np.lexsort((names, -full))[:5]
             assert rows.tolist() == best.tolist() and scores.tolist() == full[best].tolist()
+
+
+def test_bounds_settle_the_queries_of_the_table_before_all_is_read():
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    names = table["vec_id"].to_numpy()
+    vectors = np.floor(np.array(table["embedding"].to_pylist(), np.float32).astype(float) * 256).astype(np.int64)
+    stops = []
+    found = list(nra_topk(vectors[names % 50 == 0], vectors, names[names % 50 == 0], names, 5, stops))
+    assert len(stops) == len(found) == (names % 50 == 0).sum()
+    assert max(stops) <= 0.9
