@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +30,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: A token with characters of both base-64 alphabets is tested in parts, each of one of them.
+PART = re.compile(r"[A-Za-z0-9+/]{20,}={0,2}|[A-Za-z0-9_-]{20,}={0,2}")
 DIGITS = "0123456789"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = {
@@ -111,7 +115,9 @@ def battery(token: str) -> tuple[float, float] | None:
 
 def random_spans(text: str) -> list[tuple[int, int]]:
     """Spans of tokens that the battery calls random, with false discoveries held down over the text's tokens."""
-    tested = [(m.start(), m.end(), p) for m in TOKEN.finditer(text) if (p := battery(m.group())) is not None]
+    whole = [m.span() for m in TOKEN.finditer(text)]
+    spans = [x for s, e in whole for x in ([(s, e)] if infer_encoding(text[s:e].rstrip("=")) else [m.span() for m in PART.finditer(text, s, e)])]
+    tested = [(s, e, p) for s, e in spans if (p := battery(text[s:e])) is not None]
     if not tested:
         return []
     mean = sum(math.log(e - s) for s, e, _ in tested) / len(tested)
@@ -125,7 +131,12 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
     found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    found += [("random", s, e) for s, e in random_spans(text) if not any(a < e and s < b for _, a, b in found)]
+    taken = sorted((s, e) for _, s, e in found)
+    reach = list(accumulate((e for _, e in taken), max))  # the farthest end of the spans up to each
+    for s, e in random_spans(text):
+        before = bisect_left(taken, (e, 0))  # spans that start before this one ends
+        if not before or reach[before - 1] <= s:
+            found.append(("random", s, e))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

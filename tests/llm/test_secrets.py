@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import string
 
 from millrace.llm.queries import op2_secret_scans
 from millrace.llm.secrets import find_spans, random_spans, scan_secrets
@@ -58,3 +59,16 @@ def test_tricky_rows(spark, docs_of):
     for name, text in TRICKY:
         assert got[name] == base(text or "")
     assert scan_secrets(docs_of([])).collect() == []
+
+
+def test_tokens_end_at_an_equals_sign_and_mixed_alphabets_are_tested_in_parts():
+    rng = random.Random(12)
+    letters = string.ascii_letters + string.digits
+    found = 0
+    for _ in range(200):
+        secret = "".join(rng.choices(letters, k=40))
+        text = f"AUTH={secret} and build-of/{secret[::-1]}"
+        spans = [text[s:e] for kind, s, e in find_spans(text) if kind == "random"]
+        found += any(secret in x for x in spans)
+        assert not any("AUTH=" in x for x in spans)
+    assert found >= 180
