@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.scratch import few
+
 WINDOW = 13
 MOST_HASHES = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -111,12 +113,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 
 def same_row(id_col: str, text_col: str) -> Column:
-    return F.col(f"d.{id_col}").eqNullSafe(F.col("f.id")) & (F.xxhash64(F.col(f"d.{text_col}").cast("string")) == F.col("f.version"))
+    return F.col(f"d.`{id_col}`").eqNullSafe(F.col("f.id")) & (F.xxhash64(F.col(f"d.`{text_col}`").cast("string")) == F.col("f.version"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of `docs` that aren't contaminated, with all their columns."""
-    found = find_contamination(docs, benchmark, id_col, text_col, item_col).where("contaminated").select(F.col(id_col).alias("id"), "version").distinct()
+    found = few(find_contamination(docs, benchmark, id_col, text_col, item_col).where("contaminated").select(F.col(id_col).alias("id"), "version").distinct())
     return docs.alias("d").join(found.alias("f"), same_row(id_col, text_col), "left_anti")
 
 

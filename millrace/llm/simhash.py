@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.components import connected_components
+from millrace.llm.scratch import few
 from millrace.session import checkpoint_dir
 
 BITS, RADIUS, SHINGLE_WORDS, SEED = 64, 3, 3, 42
@@ -199,12 +200,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     least hash. Components that share an id, or have none, each keep a row of their own.
     """
     found = rooted_documents(docs, id_col, text_col, versions=True)
-    own = found.groupBy("root", "id", "version").agg(F.count(F.lit(1)).alias("n"))
-    least = own.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "version", "n")).alias("s"))
-    stays = least.select("s.id", "s.version", "s.n")
+    own = found.groupBy("root", "id", "version").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    least = own.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "version", "n")).alias("s")).checkpoint()
+    stays = F.col("id").eqNullSafe(F.col("s.id")) & (F.col("version") == F.col("s.version"))
+    goes = few(own.join(least, "root").where(~stays).select("id", "version"))
     version = F.xxhash64(F.col(f"d.`{text_col}`").cast("string"))
-    met = docs.alias("d").join(stays.alias("s"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("s.id")) & (version == F.col("s.version")))
-    plain = met.where("s.n = 1").select("d.*")
-    if stays.where("n > 1").isEmpty():
-        return plain
-    return plain.union(met.where("s.n > 1").select("d.*", version.alias("__version")).dropDuplicates([id_col, "__version"]).drop("__version"))
+    same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("s.id")) & (version == F.col("s.version"))
+    kept = docs.alias("d").join(goes.alias("s"), same, "left_anti")
+    again = few(least.select("s.*").where("n > 1").select("id", "version"))
+    if again.isEmpty():
+        return kept
+    name = next(n for i in range(len(docs.columns) + 1) if (n := f"version_{i}") not in docs.columns)
+    once = kept.alias("d").join(again.alias("s"), same, "left_anti")
+    copies = kept.alias("d").join(again.alias("s"), same, "left_semi").withColumn(name, version)
+    return once.union(copies.dropDuplicates([id_col, name]).drop(name))
