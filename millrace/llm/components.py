@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.session import checkpoint_dir
 
+#: Orders that rounds take in turn: a new one for each would make Spark compile all code anew each time.
+ORDERS = 3
+
 
 def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, root) of every node of `edges` (a, b: long); root is one node of the component, the same for all of it.
@@ -23,14 +26,14 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     for i in range(most_rounds):
         if graph.isEmpty():
             return roots if roots is not None else graph.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        order = lambda c, i=i: F.xxhash64(F.lit(i), c)
+        order = lambda c, i=i % ORDERS: F.xxhash64(F.lit(i), c)
         both = graph.select(F.col("a").alias("node"), F.col("b").alias("other")).union(graph.select("b", "a"))
         best = both.groupBy("node").agg(F.min_by("other", order("other")).alias("best"))
         points = best.select("node", F.when(order(F.col("best")) < order(F.col("node")), F.col("best")).otherwise(F.col("node")).alias("root"))
         points = follow(points, points).checkpoint()
         ends = graph.join(points.withColumnRenamed("node", "a"), "a").select(F.col("root").alias("x"), "b").join(points.withColumnRenamed("node", "b"), "b")
         graph = tidy(ends.select(F.col("x").alias("a"), F.col("root").alias("b"))).checkpoint()
-        roots = points if roots is None else follow(roots, points)
+        roots = points if roots is None else follow(roots, points).checkpoint()
     raise RuntimeError(f"edges are left after {most_rounds} rounds")
 
 
